@@ -33,7 +33,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = (SHARE * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     leveled = per.withColumn("w", w).withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("w")).withColumn("level", level)
-    free = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
+    free = F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
     return leveled.withColumn("target", F.least("cap", F.coalesce(free * F.col("w"), F.col("cap")))).select("source", "source_size", "n", "target")
 
 

@@ -64,8 +64,8 @@ def _cells(nodes: DataFrame) -> DataFrame:
     even = 0x5555555555555555
     lows = F.col("fp").bitwiseAND(F.lit(even))
     highs = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(even))
-    # Two-bit fields cannot hold a carry out: counts are 0, 1 or 2.
-    counts = lows + highs
+    # Half adders side by side, without arithmetic that could overflow: counts are 0, 1 or 2.
+    counts = lows.bitwiseXOR(highs).bitwiseOR(F.shiftleft(lows.bitwiseAND(highs), 1))
     keys = []
     for i, chosen in enumerate(combinations(range(GROUPS), GROUPS - RADIUS)):
         bits = sum(3 * _segments(g) for g in chosen)
