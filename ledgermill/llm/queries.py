@@ -1,5 +1,5 @@
 """Queries of the training-data operators."""
-from . import decontam, langid, licenses, mixing, pii, quality, simhash, urlrules
+from . import decontam, htmltext, langid, licenses, mixing, pii, quality, simhash, urlrules
 from .common import table
 
 QUERIES = {
@@ -7,6 +7,7 @@ QUERIES = {
     "op2_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
     "op3_urls": lambda s, d: urlrules.judge(table(s, d, "pages")),
     "op4_quality": lambda s, d: quality.score(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_html": lambda s, d: htmltext.main_text(table(s, d, "pages")),
     "op6_langid": lambda s, d: langid.identify(table(s, d, "documents")),
     "op8_decontam": lambda s, d: decontam.contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
