@@ -3,7 +3,7 @@ from ledgermill.llm import htmltext, licenses
 
 
 def test_licences():
-    assert licenses.scan("x Released under the MIT License, under the mit license") == (9, 2, 2, 5, "mit", "mit", 1.0)
+    assert licenses.scan("x Released under the MIT License, under the mit license") == (10, 2, 2, 6, "mit", "mit", 1.0)
     assert licenses.scan("licensed under the GNU General Public License, version 3.")[4:6] == ("", "gpl-3")
     assert licenses.scan("licensed under the General Public License or any later version 3")[5] == ""
     assert licenses.scan("licensed under the general public license of any version 3")[5] == "gpl-3"
