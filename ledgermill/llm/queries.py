@@ -1,5 +1,5 @@
 """Queries of the training-data operators."""
-from . import decontam, htmltext, langid, licenses, mixing, pii, quality, simhash, urlrules
+from . import decontam, htmltext, langid, licenses, mixing, neighbours, pii, quality, simhash, urlrules
 from .common import table
 
 QUERIES = {
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality": lambda s, d: quality.score(table(s, d, "documents"), table(s, d, "labels")),
     "op5_html": lambda s, d: htmltext.main_text(table(s, d, "pages")),
     "op6_langid": lambda s, d: langid.identify(table(s, d, "documents")),
+    "op7_neighbours": lambda s, d: neighbours.search(table(s, d, "embeddings")),
     "op8_decontam": lambda s, d: decontam.contamination(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
     "op10_licenses": lambda s, d: licenses.licenses(table(s, d, "documents")),
