@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-MOST, EVERY, SHARD, DEGREE, ROUNDS = 20, 20, 4096, 20, 5
-ENTRIES, BEAM, HOPS, BATCH, PART = 128, 32, 4, 128, 20_000
+MOST, EVERY, SHARD, DEGREE, ROUNDS = 20, 20, 4096, 22, 5
+ENTRIES, BEAM, HOPS, BATCH, PART = 256, 80, 6, 128, 20_000
 
 
 @contextmanager
@@ -139,7 +139,7 @@ def _search(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     out = []
     for at in range(0, len(queries), BATCH):
         part = queries.iloc[at:at + BATCH]
-        q = np.array(part["embedding"].tolist(), dtype=np.float64)
+        q = np.array(part["asked"].tolist(), dtype=np.float64)
         score = walk(x, table, q)
         most = min(MOST + 1, len(x))
         # Ties at the cut between different vectors are settled by the smallest id, so all that tie are kept.
@@ -165,7 +165,7 @@ def search(vectors: DataFrame, shard=SHARD) -> DataFrame:
     parts = max(1, -(-asked.count() // PART))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = (asked.withColumn("dim", F.size("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-             .withColumn("shard", every(shards)).select("dim", "shard", "part", F.col("vec_id").alias("query_id"), "embedding"))
+             .withColumn("shard", every(shards)).select("dim", "shard", "part", F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")))
     key, wide = ["dim", "shard", "part"], shards * parts
     found = (graph.withColumn("part", every(parts)).repartition(wide, *key).groupBy(*key)
              .cogroup(asked.repartition(wide, *key).groupBy(*key)).applyInPandas(_search, "query_id long, vec_id long, score double"))
