@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-TOKEN, BUCKETS, DIM, HIDDEN, SAMPLE, CUT = re.compile(r"\w+|[^\w\s]+"), 1 << 14, 64, 32, 3000, 0.3
+TOKEN, BUCKETS, DIM, HIDDEN, SAMPLE, CUT = re.compile(r"\w+|[^\w\s]+"), 1 << 14, 64, 32, 2000, 0.3
 
 
 def buckets(text):
@@ -35,14 +35,23 @@ def pool(vectors, ids, chunk=65536):
 def train(docs, labels):
     some = (labels.filter(F.col("quality").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", "quality").distinct()
             .orderBy(F.xxhash64("doc_id"), "quality").limit(SAMPLE))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "quality").limit(SAMPLE).collect()
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"h": pdf["h"], "quality": pdf["quality"], "ids": [buckets(t).astype(np.uint16).tobytes() for t in pdf["text"]]})
+
+    # Executors cut the texts into word numbers; repeated ids cannot exceed the bound either.
+    rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("quality").cast("int").alias("quality"), "text")
+            .mapInPandas(run, "h long, quality int, ids binary").orderBy("h", "quality", "ids").limit(SAMPLE).collect())
     base = index_vectors()
-    ids = [buckets(r.text) for r in rows]
+    ids = [np.frombuffer(r.ids, np.uint16) for r in rows]
     vectors = base.copy()
     for x in ids:
         for gap in (1, 2):
-            np.add.at(vectors, x[gap:], base[x[:-gap]])
-            np.add.at(vectors, x[:-gap], base[x[gap:]])
+            for at in range(0, len(x) - gap, 65536):
+                a, b = x[at:at + 65536][:len(x) - gap - at], x[at + gap:at + gap + 65536]
+                np.add.at(vectors, b, base[a])
+                np.add.at(vectors, a, base[b])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     x, y = np.array([pool(vectors, i) for i in ids]).reshape(-1, DIM), np.array([float(r.quality) for r in rows])
     mean, dev = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(DIM), np.ones(DIM))
