@@ -1,9 +1,13 @@
 """Main text of pages by tree scoring.
 
 Paragraph blocks give points for length and commas to their parent and half to the grandparent,
-scaled by one minus link density; the best container keeps its blocks, as do siblings with
-a fifth of its score. Navigation, headers, footers, forms, scripts and containers named as adverts,
-notices or comments are left out. A null page, or one without text, gives an empty text.
+scaled by one minus link density; an article or main has the points of all its blocks. The best
+container grows to the outermost article or main around it; without one, a list, table, quote or
+section grows to the page division that holds it. It keeps its blocks. Of its siblings, headings
+and text of low link density stay, and divisions with a fifth of its score. Navigation, headers,
+footers, forms, scripts and containers named as adverts, notices or comments are left out, and
+outside an article or main also the links of containers that are mostly links. A null page, or
+one without text, gives an empty text.
 """
 import html as entities
 import re
@@ -15,15 +19,25 @@ PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\
 SKIPPED = set("script style noscript template iframe svg nav header footer aside form button select textarea head title".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption".split()) | SKIPPED
+WHOLE, DIVISION = {"article", "main"}, {"", "html", "body", "div", "td", "th"}
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:ads?|advert\w*|banner|cookies?|notice|sidebar|comments?|menu|promo|related|share|nav\w*|footer|header)\b", re.I)
 
 
+def _heading(node):
+    return node["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _owner(node):
+    """The container that a block's points go to."""
+    return node["up"] if _heading(node) or node["tag"] in ("p", "li", "td", "th", "dd", "dt", "pre", "blockquote") else node
+
+
 def extract(page) -> str:
     if not page:
         return ""
-    root = {"tag": "", "up": None, "skip": False, "score": 0.0}
-    at, blocks, links, raw = root, [], 0, None
+    root = {"tag": "", "up": None, "skip": False, "score": 0.0, "points": 0.0, "size": 0, "linked": 0.0}
+    at, blocks, links, nodes = root, [], 0, [root]
     text, linked, pos = [], 0, 0
 
     def close():
@@ -58,7 +72,8 @@ def extract(page) -> str:
             if at["tag"] == "p" or at["tag"] == tag == "li":
                 at = at["up"]
             skip = at["skip"] or tag in SKIPPED or (tag not in ("html", "body", "article", "main") and bool(NAMED.search(m.group(3))))
-            at = {"tag": tag, "up": at, "skip": skip, "score": 0.0}
+            at = {"tag": tag, "up": at, "skip": skip, "score": 0.0, "points": 0.0, "size": 0, "linked": 0.0}
+            nodes.append(at)
             if tag in RAW:
                 end = re.compile(f"</{tag}", re.I).search(page, pos)
                 pos = end.start() if end else len(page)
@@ -68,22 +83,50 @@ def extract(page) -> str:
     seen = []
     for node, line, density in blocks:
         points = (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - density)
-        owner = node["up"] if node["tag"] in ("p", "li", "td", "th", "dd", "dt", "pre", "blockquote") or node["tag"][:1] == "h" else node
+        node["points"] += points
+        node["size"] += len(line)
+        node["linked"] += len(line) * density
+        owner = _owner(node)
         for part in (1.0, 0.5):
             if owner:
                 owner["score"] += points * part
                 seen.append(owner)
                 owner = owner["up"]
-    best = max(seen, key=lambda n: n["score"])
+    # Later nodes lie deeper, so each is whole before its parent takes its share.
+    for node in reversed(nodes):
+        if node["tag"] in WHOLE and node["size"]:
+            node["score"] = max(node["score"], node["points"])
+            seen.append(node)
+        if node["up"]:
+            for key in ("points", "size", "linked"):
+                node["up"][key] += node[key]
+    best = max(seen, key=lambda n: (n["score"], n["tag"] in WHOLE))
+    top, node = best, best
+    while node:
+        top, node = node if node["tag"] in WHOLE else top, node["up"]
+    whole = top["tag"] in WHOLE
+    while not whole and top["tag"] not in DIVISION and not (top["tag"] == "section" and top["up"]["tag"] in ("", "html", "body")):
+        top = top["up"]
+
+    def beside(node):
+        if node["score"] >= best["score"] / 5 > 0:
+            return True
+        return node["tag"] not in DIVISION and (_heading(node) or node["linked"] < 0.5 * node["size"])
 
-    def kept(node):
+    def kept(node, density):
+        if node is top["up"]:
+            return density < 0.5
+        if not whole and density >= 0.9:
+            owner = _owner(node)
+            if owner["linked"] >= 0.5 * owner["size"]:
+                return False
         while node:
-            if node is best or (node["up"] is best["up"] and best["up"] is not None and node["score"] >= max(10, best["score"] / 5)):
+            if node is top or (node["up"] is top["up"] and beside(node)):
                 return True
             node = node["up"]
         return False
 
-    return "\n".join(line for node, line, density in blocks if kept(node) and density < 0.9)
+    return "\n".join(line for node, line, density in blocks if kept(node, density))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
