@@ -103,7 +103,7 @@ def _unary(piece: str, kind: str) -> np.ndarray:
 
 def crf_spans(text: str, base: list) -> list:
     """Spans that the field adds to the base ones."""
-    if not text or not (base or "(" in text or "[" in text):
+    if not text:
         return []
     nodes = [(s, e, k, True) for k, s, e in base]
     extra = [(m.start(), m.end(), "email") for m in SPELT.finditer(text)]
