@@ -1,8 +1,10 @@
 """Quality classifier: random-indexing word vectors, mean-pooled, and a two-layer network.
 
 Each hashed word has a sparse random vector; its word vector adds those of its neighbours in
-the sample. The network is fitted on at most SAMPLE labelled rows chosen by hash, its
-temperature on a tenth of them kept aside. Empty and null texts score the zero vector.
+all documents. Executors sum them (integers, so in any order alike) and pool the texts; the
+driver holds the table and at most SAMPLE pooled rows. The network is fitted on at most SAMPLE
+labelled rows chosen by hash, its temperature on a tenth of them kept aside. Empty and null texts
+score the zero vector.
 """
 import re
 import zlib
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import fold
 
 TOKEN, BUCKETS, DIM, HIDDEN, SAMPLE, CUT = re.compile(r"\w+|[^\w\s]+"), 1 << 14, 64, 32, 2000, 0.3
+# Words of a task whose pairs are counted at a time; rows of the table in a slice.
+TOKENS, SLICE = 1 << 20, 256
 
 
 def buckets(text):
@@ -32,28 +36,69 @@ def pool(vectors, ids, chunk=65536):
     return sum(vectors[ids[i:i + chunk]].sum(0) for i in range(0, len(ids), chunk)) / len(ids)
 
 
+def near(vectors, texts, base):
+    """Adds to each word's row of vectors the random vectors of its neighbours in the texts."""
+    # Pairs are counted first, so a pair costs one row however often it comes.
+    keys = [np.minimum(a, b) * BUCKETS + np.maximum(a, b) for x in texts for a, b in ((x[:-1], x[1:]), (x[:-2], x[2:]))]
+    pairs, counts = np.unique(np.concatenate(keys).astype(np.uint32), return_counts=True)
+    low, high = pairs // BUCKETS, pairs % BUCKETS
+    for a, b in ((low, high), (high, low)):
+        order = np.argsort(b, kind="stable")
+        for at in range(0, len(order), 65536):
+            some = order[at:at + 65536]
+            to = b[some]
+            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            vectors[to[cuts]] += np.add.reduceat(base[a[some]] * counts[some, None], cuts)
+
+
+def context(docs):
+    """Word vectors from all documents: sums of each task by slices of the table, then of the slices."""
+    def run(batches):
+        base = index_vectors().astype(np.int64)
+        sums, held, size = np.zeros_like(base), [], 0
+        for pdf in batches:
+            for t in pdf["text"]:
+                x = buckets(t)
+                if len(x) > 1:
+                    held.append(x)
+                    size += len(x)
+                if size > TOKENS:
+                    near(sums, held, base)
+                    held, size = [], 0
+        if held:
+            near(sums, held, base)
+        for at in range(0, BUCKETS, SLICE):
+            if sums[at:at + SLICE].any():
+                yield pd.DataFrame({"slice": [at], "sums": [zlib.compress(sums[at:at + SLICE].tobytes(), 1)]})
+
+    def add(batches):
+        total = {}
+        for pdf in batches:
+            for at, part in zip(pdf["slice"], pdf["sums"]):
+                total[at] = total.get(at, 0) + np.frombuffer(zlib.decompress(part), np.int64)
+        for at, part in total.items():
+            yield pd.DataFrame({"slice": [at], "sums": [part.tobytes()]})
+
+    vectors = index_vectors()
+    for r in docs.select("text").mapInPandas(run, "slice int, sums binary").repartition("slice").mapInPandas(add, "slice int, sums binary").collect():
+        vectors[r.slice:r.slice + SLICE] += np.frombuffer(r.sums, np.int64).reshape(-1, DIM)
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def train(docs, labels):
     some = (labels.filter(F.col("quality").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", "quality").distinct()
             .orderBy(F.xxhash64("doc_id"), "quality").limit(SAMPLE))
+    vectors = context(docs)
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "quality": pdf["quality"], "ids": [buckets(t).astype(np.uint16).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["h"], "quality": pdf["quality"], "x": [pool(held.value, buckets(t)).astype(np.float64).tobytes() for t in pdf["text"]]})
 
-    # Executors cut the texts into word numbers; repeated ids cannot exceed the bound either.
+    # Repeated ids cannot exceed the bound either.
     rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("quality").cast("int").alias("quality"), "text")
-            .mapInPandas(run, "h long, quality int, ids binary").orderBy("h", "quality", "ids").limit(SAMPLE).collect())
-    base = index_vectors()
-    ids = [np.frombuffer(r.ids, np.uint16) for r in rows]
-    vectors = base.copy()
-    for x in ids:
-        for gap in (1, 2):
-            for at in range(0, len(x) - gap, 65536):
-                a, b = x[at:at + 65536][:len(x) - gap - at], x[at + gap:at + gap + 65536]
-                np.add.at(vectors, b, base[a])
-                np.add.at(vectors, a, base[b])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    x, y = np.array([pool(vectors, i) for i in ids]).reshape(-1, DIM), np.array([float(r.quality) for r in rows])
+            .mapInPandas(run, "h long, quality int, x binary").orderBy("h", "quality", "x").limit(SAMPLE).collect())
+    x, y = np.array([np.frombuffer(r.x) for r in rows]).reshape(-1, DIM), np.array([float(r.quality) for r in rows])
     mean, dev = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(DIM), np.ones(DIM))
     x = (x - mean) / dev
     rng = np.random.default_rng(5)
@@ -70,7 +115,7 @@ def train(docs, labels):
             p[i] = p[i] - 0.01 * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8)
     z = (np.tanh(x[aside] @ p[0] + p[1]) @ p[2] + p[3]) if len(y) else np.zeros(0)
     loss = lambda t: np.logaddexp(0, np.where(y[aside] == 1, -z, z) / t).sum()
-    return vectors.astype(np.float32), mean, dev, p, min((0.5, 0.75, 1, 1.5, 2, 3, 5), key=loss)
+    return vectors, mean, dev, p, min((0.5, 0.75, 1, 1.5, 2, 3, 5), key=loss)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
