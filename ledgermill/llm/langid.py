@@ -2,16 +2,17 @@
 
 Features are hashed character 1- to 3-gram shares of the whole text. The models are fitted by
 averaged hinge-loss descent on at most SAMPLE labelled documents chosen by hash (a bound on
-what the driver holds); every document is judged. A null text, or one without a letter, is `und` with score 0.
+what the driver holds), in turn from each language, so that a rare one is in it as long as there are no
+more than SAMPLE languages; every document is judged. A null text, or one without a letter, is `und` with score 0.
 """
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
 
-BUCKETS, SAMPLE, CHUNK = 1 << 12, 1500, 1 << 18
+BUCKETS, SAMPLE, CHUNK = 1 << 13, 3000, 1 << 18
 # ISO 639-1 codes by family; a language not listed is a family of its own.
 FAMILY = {"fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "en": "germanic", "de": "germanic", "nl": "germanic"}
 
@@ -44,17 +45,23 @@ def _svm(x, y, epochs=15, reg=1e-4):
 
 
 def train(docs: DataFrame):
-    """Fitted on the SAMPLE smallest id hashes of the learning folds; executors make the features, so no text reaches the driver."""
-    open_rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2)).withColumn("h", F.xxhash64("doc_id"))
-    some = open_rows.select("h").distinct().orderBy("h").limit(SAMPLE)
+    """Fitted on the smallest hashes of each language in the learning folds; executors make the features, so no text reaches the driver."""
+    open_rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2)).withColumn("h", F.xxhash64("doc_id", "text"))
+    known = open_rows.select("h", "lang").distinct()
+    # Of a large language only about 2 * SAMPLE rows, those of the smallest hashes, are ranked.
+    share = F.when(F.col("n") > 4 * SAMPLE, 2 * SAMPLE / F.col("n")).otherwise(F.lit(2.0))
+    few = (known.join(F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n"))), "lang")
+           .filter(F.col("h").cast("double") / 2.0 ** 64 + 0.5 <= share))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = few.select("h", "lang", place.alias("place")).orderBy("place", "h", "lang").limit(SAMPLE)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "lang": pdf["lang"], "x": [features(t).astype(np.float16).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"place": pdf["place"], "h": pdf["h"], "lang": pdf["lang"], "x": [features(t).astype(np.float16).tobytes() for t in pdf["text"]]})
 
-    # Repeated ids cannot exceed the bound either.
-    rows = (open_rows.select("h", "lang", "text").join(F.broadcast(some), "h").mapInPandas(run, "h long, lang string, x binary")
-            .orderBy("h", "lang", "x").limit(SAMPLE).collect())
+    # Repeated rows count once.
+    rows = (open_rows.select("h", "lang", "text").join(F.broadcast(some), ["h", "lang"]).mapInPandas(run, "place int, h long, lang string, x binary")
+            .dropDuplicates(["h", "lang"]).orderBy("place", "h", "lang", "x").limit(SAMPLE).collect())
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], dtype=np.float32).reshape(-1, BUCKETS)
     lang = np.array([r.lang for r in rows])
     family = np.array([FAMILY.get(v, v) for v in lang])
