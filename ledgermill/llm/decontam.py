@@ -5,17 +5,22 @@ own length). Per pattern length, a shift table over blocks of two words skips po
 where no pattern can end; a block that ends some pattern has shift zero, its bucket holds
 the patterns with that suffix, and comparison of all words confirms.
 
-Patterns are gathered in slices of at most SLICE windows, so what is sent to the executors
-has a fixed bound; more windows mean more slices, whose hits are merged per row.
-Null or wordless texts have no words, no hits and are clean; null items give no window.
+Patterns are gathered in slices of at most SLICE words (a longer item is cut into pieces that
+overlap by a window less one word), so what is sent to the executors has a fixed bound; more
+words mean more slices, each one scan of the documents, whose hits are merged by row.
+
+Null or wordless texts have no words, no hits and are clean; null or wordless items have no window.
+Windows of an item without an id are hit like any other, but the item is neither counted nor hashed.
+Rows are judged one by one: repeated rows and ids get a row each, a null id is kept, and other columns
+are not read. Empty tables give no rows, or no hits.
 """
 from collections import defaultdict
+from itertools import chain
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha, words
+from .common import add_columns, checkpointed, columns_of, keep_rows, sha, words
 
 WINDOW, SLICE = 13, 200_000
 
@@ -33,14 +38,15 @@ class Matcher:
         self.tables = []
         for m, patterns in sorted(by_length.items()):
             block = min(2, m)
-            shift, bucket = {}, defaultdict(list)
+            shift, bucket = {}, defaultdict(set)
             for p in patterns:
                 for end in range(block, m + 1):
                     key = p[end - block:end]
                     shift[key] = min(shift.get(key, m - block + 1), m - end)
-                bucket[p[m - block:]].append(p)
+                bucket[p[m - block:]].add(p)
             self.tables.append((m, block, m - block + 1, shift, dict(bucket)))
-        self.owners = dict(owners)
+        # Windows of an item without an id count as hits; nobody owns them.
+        self.owners = {p: {i for i in v if i is not None} for p, v in owners.items()}
 
     def search(self, found):
         """Intervals of hit words (merged, in order) and the items with a hit."""
@@ -72,15 +78,17 @@ def merge(spans):
 
 
 def slices(benchmark: DataFrame):
-    """Lists of (item_id, words), each of at most SLICE windows or one item."""
+    """Lists of (item_id, words), each of at most about SLICE words."""
     part, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        found = words(row.text)
-        if part and held + len(found) > SLICE:
-            yield part
-            part, held = [], 0
-        part.append((row.item_id, found))
-        held += len(found)
+        whole = words(row.text)
+        for at in range(0, max(1, len(whole) - WINDOW + 1), SLICE):
+            found = whole[at:at + SLICE + WINDOW - 1]
+            if part and held + len(found) > SLICE:
+                yield part
+                part, held = [], 0
+            part.append((row.item_id, found))
+            held += len(found)
     if part:
         yield part
 
@@ -90,40 +98,61 @@ def _judged(spans, n):
     return hit, hit > 0 and 20 * hit >= n
 
 
-def _digest(items):
-    return sha(",".join(sorted(str(i) for i in items if i is not None)))
+def _names(items):
+    return sorted(str(i) for i in items)
 
 
-def _scan(docs, part, keep_spans):
-    """One pass over the documents with one slice of patterns."""
+def _answer(n, spans, names):
+    hit, bad = _judged(spans, n)
+    return n, hit, len(names), sha(",".join(names)), bad
+
+
+TAIL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _scan_all(docs, part):
+    """Answers when one slice holds every pattern."""
     held = docs.sparkSession.sparkContext.broadcast(Matcher(part))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rid = ["rid"] if keep_spans else []
-
-    def run(batches):
-        matcher = held.value
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                found = words(text)
-                spans, items = matcher.search(found)
-                rows.append((len(found), spans, items))
-            out = pdf[["doc_id", *rid]].copy()
-            out["n_words"] = [r[0] for r in rows]
-            if keep_spans:
-                out["spans"] = [[x for s in r[1] for x in s] for r in rows]
-                out["items"] = [[str(i) for i in r[2] if i is not None] for r in rows]
-            else:
-                judged = [_judged(r[1], r[0]) for r in rows]
-                out["n_hit"] = [j[0] for j in judged]
-                out["n_items"] = [len(r[2]) for r in rows]
-                out["items_sha256"] = [_digest(r[2]) for r in rows]
-                out["contaminated"] = [j[1] for j in judged]
-            yield out
-
-    tail = ("rid long, n_words long, spans array<int>, items array<string>" if keep_spans
-            else "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return docs.select("doc_id", "text", *rid).mapInPandas(run, f"doc_id {kind}, {tail}")
+
+    def judge(text):
+        found = words(text)
+        spans, items = held.value.search(found)
+        return _answer(len(found), spans, _names(items))
+
+    return add_columns(docs.select("doc_id", "text"), ["doc_id"], ["text"], TAIL, lambda: lambda texts: columns_of(map(judge, texts), 5))
+
+
+def _scan_slice(marked, part):
+    """Only the rows with hits of one slice."""
+    held = marked.sparkSession.sparkContext.broadcast(Matcher(part))
+
+    def judge(text):
+        spans, items = held.value.search(words(text))
+        return [x for s in spans for x in s], _names(items)
+
+    return add_columns(marked.select("rid", "text"), ["rid"], ["text"], "spans array<int>, items array<string>",
+                       lambda: lambda texts: columns_of(map(judge, texts), 2)).filter("size(spans) > 0")
+
+
+def _scan_slices(marked, parts):
+    """rid, doc_id and the answers, merged over the slices."""
+    hits = None
+    for part in parts:
+        one = _scan_slice(marked, part)
+        hits = one if hits is None else hits.unionByName(one)
+    merged = hits.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    sized = add_columns(marked.select("rid", "doc_id", "text"), ["rid", "doc_id"], ["text"], "size long", lambda: lambda texts: [[len(words(t)) for t in texts]])
+
+    def judge(n, spans, items):
+        spans = spans or []
+        return _answer(n, merge(list(zip(spans[::2], spans[1::2]))), sorted(items or []))
+
+    return add_columns(sized.join(merged, "rid", "left"), ["rid", "doc_id"], ["size", "spans", "items"], TAIL, lambda: lambda *c: columns_of(map(judge, *c), 5))
+
+
+def _marked(docs):
+    """Rows with a number of their own, written down so that a lost executor's rows get the same ones again."""
+    return checkpointed(docs.withColumn("rid", F.monotonically_increasing_id()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -132,30 +161,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = next(parts, [])
     second = next(parts, None)
     if second is None:
-        return _scan(docs, first, False)
-    # Ids given by content, so a lost executor's rows get the same ones again; equal rows merge into equal results.
-    marked = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    out = _scan(marked, first, True).unionByName(_scan(marked, second, True))
-    for part in parts:
-        out = out.unionByName(_scan(marked, part, True))
-    copies = marked.groupBy("doc_id", "rid").agg(F.count("*").alias("copies"))
-    merged = out.groupBy("doc_id", "rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
-                                              F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    joined = merged.alias("m").join(copies.alias("c"), F.expr("m.doc_id <=> c.doc_id and m.rid = c.rid")).selectExpr(
-        "m.doc_id", "n_words", "spans", "items", "explode(sequence(1L, copies)) as copy")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            rows = [_judged(merge(list(zip(x[::2], x[1::2]))), n) for x, n in zip(pdf["spans"], pdf["n_words"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n_words"], "n_hit": [r[0] for r in rows],
-                                "n_items": [len(i) for i in pdf["items"]], "items_sha256": [_digest(i) for i in pdf["items"]],
-                                "contaminated": [r[1] for r in rows]})
-
-    return joined.mapInPandas(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        return _scan_all(docs, first)
+    return _scan_slices(_marked(docs.select("doc_id", "text")), chain([first, second], parts)).drop("rid")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that are not contaminated, all columns as they were."""
-    bad = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Documents that are not contaminated, row by row, all columns as they were."""
+    parts = slices(benchmark)
+    first = next(parts, [])
+    second = next(parts, None)
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(Matcher(first))
+
+        def judge():
+            def clean(text):
+                found = words(text)
+                return not _judged(held.value.search(found)[0], len(found))[1]
+            return clean
+
+        return keep_rows(docs, judge)
+    # A struct keeps the columns apart from the row's number, whatever their names.
+    marked = checkpointed(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")))
+    bad = _scan_slices(marked.select("rid", "row.doc_id", "row.text"), chain([first, second], parts)).filter("contaminated").select("rid")
+    return marked.join(bad, "rid", "left_anti").select("row.*")

@@ -4,13 +4,17 @@ Features are hashed character 1- to 3-gram shares of the whole text. The models
 averaged hinge-loss descent on at most SAMPLE labelled documents chosen by hash (a bound on
 what the driver holds), in turn from each language, so that a rare one is in it as long as there are no
 more than SAMPLE languages; every document is judged. A null text, or one without a letter, is `und` with score 0.
+
+Texts of any length are read whole, in pieces of CHUNK characters. Repeated rows and ids get equal answers, a null
+id is in a learning fold, columns other than doc_id, text and lang are not read, an empty table gives no rows, and a
+table without any lang gives `und` throughout. Ties of votes go to the larger margin, then to the later code.
 """
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import add_columns, columns_of, fold, keep_rows
 
 BUCKETS, SAMPLE, CHUNK = 1 << 13, 3000, 1 << 18
 # ISO 639-1 codes by family; a language not listed is a family of its own.
@@ -99,18 +103,20 @@ def predict(model, text):
 def identify(docs: DataFrame, model=None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return add_columns(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")), ["doc_id", "held_out"], ["text"], "lang_pred string, score double",
+                       lambda: lambda texts: columns_of((predict(held.value, t) for t in texts), 2))
 
-    def run(batches):
-        for pdf in batches:
-            got = [predict(held.value, t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
-    return docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")).mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Documents with a language, all columns as they were; only `und` goes.
 
+    Rows are judged one by one, so repeated or null ids and extra columns change nothing. Where no language
+    could be learned (no row has one), a text with a letter stays.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents with a language, all columns as they were; only `und` goes."""
-    bad = identify(docs).filter("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    def judge():
+        model = held.value
+        return lambda t: predict(model, t)[0] != "und" or (not model["families"] and t and any(map(str.isalpha, t)))
+
+    return keep_rows(docs, judge)

@@ -3,8 +3,12 @@
 Each hashed word has a sparse random vector; its word vector adds those of its neighbours in
 all documents. Executors sum them (integers, so in any order alike) and pool the texts; the
 driver holds the table and at most SAMPLE pooled rows. The network is fitted on at most SAMPLE
-labelled rows chosen by hash, its temperature on a tenth of them kept aside. Empty and null texts
-score the zero vector.
+labelled rows chosen by hash, its temperature on a tenth of them kept aside.
+
+Empty and null texts score the zero vector; very long texts are pooled whole, a piece at a time. Repeated
+rows and ids get equal scores, a null id is never labelled and in a learning fold, labels other than 0 and 1
+are not learned, and without labels every score is 0.5. Columns other than doc_id and text (labels: doc_id
+and quality) are not read; an empty table gives no rows.
 """
 import re
 import zlib
@@ -14,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import add_columns, fold
 
 TOKEN, BUCKETS, DIM, HIDDEN, SAMPLE, CUT = re.compile(r"\w+|[^\w\s]+"), 1 << 14, 64, 32, 3000, 0.3
 # Words of a task whose pairs are counted at a time; rows of the table in a slice.
@@ -121,13 +125,11 @@ def train(docs, labels):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
+    def judge(texts):
         vectors, mean, dev, p, temperature = held.value
-        for pdf in batches:
-            x = (np.array([pool(vectors, buckets(t)) for t in pdf["text"]]).reshape(-1, DIM) - mean) / dev
-            s = 1 / (1 + np.exp(-np.clip((np.tanh(x @ p[0] + p[1]) @ p[2] + p[3]) / temperature, -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= CUT).astype("int32")})
+        x = (np.array([pool(vectors, buckets(t)) for t in texts]).reshape(-1, DIM) - mean) / dev
+        s = 1 / (1 + np.exp(-np.clip((np.tanh(x @ p[0] + p[1]) @ p[2] + p[3]) / temperature, -30, 30)))
+        return s, (s >= CUT).astype("int32")
 
-    return docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out")).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return add_columns(docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out")), ["doc_id", "held_out"], ["text"], "score double, predicted int", lambda: judge)

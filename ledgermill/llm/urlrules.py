@@ -5,11 +5,15 @@ form one interval of keys. Pages and hosts of rules are sorted by key; a sweep p
 when its interval opens and pops it when it closes, and the longest rule on the stack whose
 path begins the page's path wins. Hot hosts are split, as page_id takes part in the ranges.
 Rules are closed over, so they are limited to MOST_RULES. A null url, or one without ://, has
-empty host and path and takes the default verdict.
+empty host and path and takes the default verdict. Of rules that are equally long none can fit the same
+url; a rule given twice must not contradict itself. Repeated rows and ids get a row each, a null id is kept,
+urls of any length are read whole, columns other than page_id and url are not read, and an empty table gives no rows.
 """
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MOST_RULES = 100_000
 
@@ -28,13 +32,13 @@ def judge(pages: DataFrame, rules=RULES, default="allow") -> DataFrame:
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     keyed = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     keyed = keyed.withColumn("key", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches):
+    def sweep():
         at, stack = 0, []
-        for pdf in batches:
+
+        def judge(keys, paths):
+            nonlocal at, stack
             names, verdicts = [], []
-            for key, path in zip(pdf["key"], pdf["path"]):
+            for key, path in zip(keys, paths):
                 while at < len(starts) and starts[at][0] <= key:
                     while stack and not starts[at][0].startswith(stack[-1][0]):
                         stack.pop()
@@ -45,10 +49,12 @@ def judge(pages: DataFrame, rules=RULES, default="allow") -> DataFrame:
                 best = max((r for r in stack if path.startswith(r[2])), key=lambda r: r[1], default=None)
                 names.append(best[3] if best else None)
                 verdicts.append(best[4] if best else default)
-            yield pdf[["page_id", "host", "path"]].assign(rule=names, verdict=verdicts)
+            return names, verdicts
+
+        return judge
 
-    return keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key").mapInPandas(
-        run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    ordered = keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key")
+    return add_columns(ordered, ["page_id", "host", "path"], ["key", "path"], "rule string, verdict string", sweep)
 
 
 ORACLE_SQL = r"""with u as (select page_id, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') as r from pages),
