@@ -1,22 +1,33 @@
 """Personal data: pattern spans plus a skip-chain conditional random field.
 
-Nodes are candidate tokens of one document. Neighbours in text order share a weak
-chain potential; occurrences of the same or a similar token (equal last nine
-digits, equal folded address) share a strong skip potential. Occurrences of one key
-are linked one to the next, so edges grow linearly with the tokens. Damped loopy
-sum-product passes beliefs over both kinds of edge; a candidate whose marginal for a
-kind passes the threshold becomes a span unless it overlaps a base span.
-
-A null text is empty: no spans, the hash of the empty string. Documents of any length
-are read whole; every row is judged by itself, so ties and repeated rows change nothing.
+Nodes are candidate tokens of one document: base spans, whose label is known, and unconfirmed numbers and
+spelt-out addresses. Neighbours in text order share a chain potential; occurrences of the same or a similar
+token (equal last nine digits, equal folded address) share a skip potential. Occurrences of one key are
+linked one to the next, so edges grow linearly with the tokens. Damped loopy sum-product passes beliefs over
+both kinds of edge; a candidate whose marginal for a kind passes the threshold becomes a span unless it
+overlaps a base span.
+
+The weights of shape, chain and skip are fitted by pseudo-likelihood on the documents themselves. Base spans
+are the labels, also of unconfirmed tokens of the same key; the cue by which the pattern found them (the plus sign,
+the at sign) is taken from their shape first, numbers that no pattern confirmed are the counter-examples. The fit is held near PRIOR, which rules where
+there is nothing to learn from. It sees the nodes of at most SAMPLE documents, the smallest hashes of doc_id, of
+at most NODES nodes each; every document is judged, whole.
+
+A null text is empty: no spans, the hash of the empty string. Rows are judged one by one, so ties, repeated
+rows and repeated or null ids change nothing; columns other than doc_id and text are not read by find_pii and
+pass through redact unchanged; an empty table gives no rows.
 """
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import sha
+from .common import add_columns, columns_of, sha
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -28,10 +39,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9][0-9().\x20-]*[0-9](?![0-9A-Za-z])")
 SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})[\x20]?[(\[](?:at|AT)[)\]][\x20]?"
                    r"([A-Za-z0-9-]{1,63}(?:(?:\.|[\x20]?[(\[](?:dot|DOT)[)\]][\x20]?)[A-Za-z0-9-]{1,63}){1,8})")
+DATE = re.compile(r"(?:19|20)[0-9]{2}([-./\x20])[01]?[0-9]\1[0-3]?[0-9](?![0-9])|[0-3]?[0-9]([-./\x20])[01]?[0-9]\2(?:19|20)[0-9]{2}(?![0-9])")
 DIGITS = re.compile("[^0-9]")
 ROUNDS, DAMPING, THRESHOLD = 12, 0.5, 0.6
-# Labels: outside, then KINDS.
-CHAIN, SKIP, CLAMP = 0.15, 2.5, 8.0
+CLAMP, SAMPLE, NODES, STEPS, PULL = 8.0, 4000, 256, 300, 2.0
+# Shape of a candidate; labels are outside, then KINDS.
+FEATURES = ("bias", "address", "digits_9_11", "digits_12", "digits_13_19", "luhn", "marks", "round_brackets", "dash", "space", "dots")
+PRIOR = np.zeros((1 + len(KINDS), len(FEATURES)))
+PRIOR[:, 0] = 1.2, -6.0, -4.0, -4.0, -1.5
+PRIOR[1, 1], PRIOR[3, 4], PRIOR[3, 5], PRIOR[0, 4] = 9.0, 2.5, 2.0, 0.5
+PRIOR[4, 2], PRIOR[4, 6], PRIOR[2, 10] = 1.9, 0.3, 0.5
+#: Shape weights, chain strength, skip strength.
+PRIOR_MODEL = (PRIOR, 0.15, 2.5)
 
 
 def luhn(digits: str) -> bool:
@@ -86,63 +105,131 @@ def _key(piece: str, kind: str) -> str:
     return "n" + DIGITS.sub("", piece)[-9:]
 
 
-def _unary(piece: str, kind: str) -> np.ndarray:
-    """Log-potentials of an unconfirmed candidate from its shape."""
-    u = np.zeros(5)
-    u[0] = 1.2
+def _shape(piece: str, kind: str) -> np.ndarray:
+    """FEATURES of a candidate, without the cue by which a pattern knows it."""
     if kind == "email":
-        u[1] = 3.0
-        return u
-    n = len(DIGITS.sub("", piece))
-    marks = len(re.findall(r"[().\x20-]", piece))
-    u[4] = (0.4 if 9 <= n <= 11 else -1.5) + 0.3 * min(marks, 3)
-    u[3] = -0.5 if 13 <= n <= 19 else -4.0
-    u[2], u[1] = -4.0, -6.0
-    return u
+        return np.array([1.0, 1.0] + [0.0] * (len(FEATURES) - 2))
+    piece = piece.removeprefix("+1").strip("+ ")
+    digits = DIGITS.sub("", piece)
+    n = len(digits)
+    marks = sum(c in "().- " for c in piece)
+    return np.array([1, 0, 9 <= n <= 11, n == 12, 13 <= n <= 19, 13 <= n <= 19 and luhn(digits), min(marks, 3), "(" in piece, "-" in piece, " " in piece, piece.count(".") == 3], dtype=float)
 
 
-def crf_spans(text: str, base: list) -> list:
-    """Spans that the field adds to the base ones."""
-    if not text:
-        return []
-    nodes = [(s, e, k, True) for k, s, e in base]
+def nodes_of(text: str, base: list):
+    """Nodes (start, end, kind, known label or None) in order, and edges by chain and by skip."""
     extra = [(m.start(), m.end(), "email") for m in SPELT.finditer(text)]
-    extra += [(m.start(), m.end(), "number") for m in LOOSE.finditer(text) if 9 <= sum(c.isdigit() for c in m.group()) <= 19]
+    extra += [(m.start(), m.end(), "number") for m in LOOSE.finditer(text)
+              if 9 <= sum(c.isdigit() for c in m.group()) <= 19 and not DATE.match(m.group())]
     taken = sorted((s, e) for _, s, e in base)
-    low = 0
-    high = []
-    for s, e, k in sorted(extra):
-        while low < len(taken) and taken[low][1] <= s:
-            low += 1
-        # Base spans of different kinds may nest, so all that start before e are looked at.
-        if not any(b[0] < e and s < b[1] for b in taken[max(0, low - 3):low + 3]):
-            high.append((s, e, k, False))
-    if not high:
-        return []
-    nodes = sorted(nodes + high)
-    n = len(nodes)
-    unary = np.zeros((n, 5))
+    # Base spans of different kinds may nest: the furthest end so far shows what reaches over a place.
+    reach, furthest = [], 0
+    for s, e in taken:
+        furthest = max(furthest, e)
+        reach.append(furthest)
+    starts = [s for s, _ in taken]
+    free = []
+    for s, e, k in extra:
+        before = bisect_left(starts, e)
+        if not before or reach[before - 1] <= s:
+            free.append((s, e, k, None))
+    nodes = sorted([(s, e, k, 1 + KINDS.index(k)) for k, s, e in base] + free, key=lambda x: x[:3])
     by_key = defaultdict(list)
-    for i, (s, e, k, sure) in enumerate(nodes):
-        if sure:
-            unary[i, 1 + KINDS.index(k)] = CLAMP
-        else:
-            unary[i] = _unary(text[s:e], k)
+    for i, (s, e, k, _) in enumerate(nodes):
         by_key[_key(text[s:e], k)].append(i)
-    # A confirmed token speaks first within its group, so support reaches every repetition.
-    edges = [(i, i + 1, CHAIN) for i in range(n - 1) if nodes[i + 1][0] - nodes[i][1] < 80]
+    chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] < 80]
+    skip = []
     for group in by_key.values():
-        group.sort(key=lambda i: (not nodes[i][3], i))
-        edges += [(a, b, SKIP) for a, b in zip(group, group[1:])]
-    belief = _propagate(unary, edges)
+        # A confirmed token speaks first within its group, so support reaches every repetition.
+        group.sort(key=lambda i: (nodes[i][3] is None, i))
+        skip += zip(group, group[1:])
+    return nodes, chain, skip
+
+
+def crf_spans(text: str, base: list, model=None, skips=True) -> list:
+    """Spans that the field adds to the base ones."""
+    if not text:
+        return []
+    nodes, chain, skip = nodes_of(text, base)
+    if all(known for *_, known in nodes):
+        return []
+    weights, chained, skipped = model or PRIOR_MODEL
+    unary = np.zeros((len(nodes), len(weights)))
+    for i, (s, e, k, known) in enumerate(nodes):
+        if known:
+            unary[i, known] = CLAMP
+        else:
+            unary[i] = weights @ _shape(text[s:e], k)
+    belief = _propagate(unary, [(a, b, chained) for a, b in chain] + [(a, b, skipped) for a, b in skip if skips])
     out = []
-    for i, (s, e, _, sure) in enumerate(nodes):
+    for i, (s, e, _, known) in enumerate(nodes):
         label = int(belief[i, 1:].argmax()) + 1
-        if not sure and belief[i, label] >= THRESHOLD:
+        if not known and belief[i, label] >= THRESHOLD:
             out.append((KINDS[label - 1], s, e))
     return out
 
 
+def evidence(text) -> np.ndarray:
+    """Of each node of a text: label, shape, and how many chain and skip neighbours have each label."""
+    if not text:
+        return np.zeros((0, 0))
+    nodes, chain, skip = nodes_of(text, base_spans(text))
+    nodes = nodes[:NODES]
+    labels = [known or 0 for *_, known in nodes]
+    # The confirmed come first in a group, so their label goes down the links.
+    for a, b in skip:
+        if a < len(nodes) and b < len(nodes) and not labels[b]:
+            labels[b] = labels[a]
+    near = np.zeros((2, len(nodes), 1 + len(KINDS)))
+    for kind, edges in enumerate((chain, skip)):
+        for a, b in edges:
+            if a < len(nodes) and b < len(nodes):
+                near[kind, a, labels[b]] += 1
+                near[kind, b, labels[a]] += 1
+    rows = [[labels[i], *_shape(text[s:e], k), *near[0, i], *near[1, i]] for i, (s, e, k, _) in enumerate(nodes)]
+    return np.array(rows, dtype=float)
+
+
+def fit(rows: np.ndarray):
+    """Weights of largest pseudo-likelihood: each node given its shape and its neighbours' labels, held near PRIOR_MODEL."""
+    if not len(rows):
+        return PRIOR_MODEL
+    many, shapes = 1 + len(KINDS), len(FEATURES)
+    y, x = rows[:, 0].astype(int), rows[:, 1:1 + shapes]
+    near = rows[:, 1 + shapes:].reshape(-1, 2, many)
+    w, e = PRIOR.copy(), np.array(PRIOR_MODEL[1:])
+    start = w.copy(), e.copy()
+    moment = [np.zeros_like(w), np.zeros_like(e)], [np.zeros_like(w), np.zeros_like(e)]
+    for t in range(1, STEPS + 1):
+        z = x @ w.T + np.einsum("k,nky->ny", e, near)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        grads = p.T @ x + PULL * (w - start[0]), np.einsum("ny,nky->k", p, near) + PULL * (e - start[1])
+        for i, (now, g) in enumerate(zip((w, e), grads)):
+            moment[0][i][:] = 0.9 * moment[0][i] + 0.1 * g
+            moment[1][i][:] = 0.999 * moment[1][i] + 0.001 * g * g
+            now -= 0.05 * (moment[0][i] / (1 - 0.9 ** t)) / (np.sqrt(moment[1][i] / (1 - 0.999 ** t)) + 1e-8)
+    # Similar tokens attract; they never repel.
+    return w, float(max(0.0, e[0])), float(max(0.0, e[1]))
+
+
+def train(docs: DataFrame):
+    """The field fitted on a sample of documents; executors make the nodes, so no text reaches the driver."""
+    some = docs.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(SAMPLE)
+
+    def run(batches):
+        for pdf in batches:
+            found = [(h, e) for h, e in zip(pdf["h"], map(evidence, pdf["text"])) if len(e)]
+            if found:
+                yield pd.DataFrame({"h": [h for h, _ in found], "x": [e.tobytes() for _, e in found]})
+
+    rows = (docs.select(F.xxhash64("doc_id").alias("h"), "text").join(F.broadcast(some), "h").mapInPandas(run, "h long, x binary")
+            .orderBy("h", "x").limit(SAMPLE).collect())
+    width = 1 + len(FEATURES) + 2 * (1 + len(KINDS))
+    return fit(np.concatenate([np.frombuffer(r.x).reshape(-1, width) for r in rows]) if rows else np.zeros((0, width)))
+
+
 def _propagate(unary, edges):
     n = len(unary)
     if not edges:
@@ -169,9 +256,9 @@ def _propagate(unary, edges):
     return p / p.sum(1, keepdims=True)
 
 
-def spans_of(text) -> tuple:
+def spans_of(text, model=None) -> tuple:
     base = base_spans(text or "")
-    return base, crf_spans(text or "", base)
+    return base, crf_spans(text or "", base, model)
 
 
 def _digest(spans) -> str:
@@ -180,28 +267,22 @@ def _digest(spans) -> str:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind of the base spans, their hash, and all spans."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                base, added = spans_of(text)
-                kinds = [k for k, _, _ in base]
-                rows.append([kinds.count(k) for k in KINDS] + [sha(_digest(base)), _digest(base + added)])
-            out = pdf[["doc_id"]].copy()
-            for i, c in enumerate(["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]):
-                out[c] = [r[i] for r in rows]
-            yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
-
-
-def mask(text):
+    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def judge(text):
+        base, added = spans_of(text, held.value)
+        kinds = [k for k, _, _ in base]
+        return *[kinds.count(k) for k in KINDS], sha(_digest(base)), _digest(base + added)
+
+    return add_columns(docs.select("doc_id", "text"), ["doc_id"], ["text"], "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string",
+                       lambda: lambda texts: columns_of(map(judge, texts), 6))
+
+
+def mask(text, model=None):
     """The text with each span replaced by its kind; overlapping spans merge under the first one's kind."""
     if not text:
         return text
-    base, added = spans_of(text)
+    base, added = spans_of(text, model)
     merged = []
     for k, s, e in sorted(base + added, key=lambda x: (x[1], -x[2])):
         if merged and s < merged[-1][2]:
@@ -216,15 +297,19 @@ def mask(text):
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with personal data masked; all other columns as they were, n_chars of the masked text."""
+    """Documents with personal data masked; all other columns as they were, n_chars (if there) of the masked text."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+
     def run(batches):
-        for pdf in batches:
-            old = pdf["text"]
-            new = old.map(mask, na_action="ignore")
-            if "n_chars" in pdf:
-                changed = (new != old) & old.notna()
-                pdf["n_chars"] = pdf["n_chars"].astype("Int64").mask(changed, new.str.len().astype("Int64"))
-            pdf["text"] = new
-            yield pdf
-
-    return docs.mapInPandas(run, docs.schema)
+        for batch in batches:
+            old = batch.column("text").to_pylist()
+            new = [mask(t, held.value) for t in old]
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            at = batch.schema.get_field_index("n_chars")
+            if at >= 0:
+                sizes = [len(b) if a != b else n for a, b, n in zip(old, new, batch.column(at).to_pylist())]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
