@@ -2,11 +2,16 @@
 
 Equal vectors fold into one node that keeps its MOST + 1 smallest ids (no answer needs more).
 Nodes are dealt by hash into shards of about SHARD nodes, so a shard's graph fits in a task at
-every input size. NN-descent: starting from neighbours in hash order, each round joins every
+every input size. NN-descent: starting from the best links within the groups of TREES random halvings of the shard, each round joins every
 node's links (both directions) with the lists of the linked nodes and keeps the DEGREE best of
-all candidates. The joins use the shard's partitioning, so only lists move between rounds. A
-query walks the graph of each shard greedily from the best of ENTRIES nodes, and the best of all
-shards are kept. The query set meets every shard in blocks of at most about PART queries.
+all candidates. The joins use the shard's partitioning, so only lists move between rounds.
+
+A query walks the graph of each shard greedily: from ENTRIES nodes it opens the WIDTH best nodes
+of its beam that are not yet open, scores those of their links (all of them, in both directions) that it has
+not seen, and keeps the BEAM best, until every node of the beam is open. Memory follows what is
+visited. The finalists are scored once more by one kernel, so that equal vectors tie exactly, and the
+best of all shards are kept. The query set meets every shard in blocks of at most about PART queries,
+so search work grows with queries times shards.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part, as neither query nor candidate; only vectors of equal length are compared; a null id is no
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-MOST, EVERY, SHARD, DEGREE, ROUNDS = 20, 20, 4096, 22, 5
-ENTRIES, BEAM, HOPS, BATCH, PART = 256, 80, 6, 128, 20_000
+MOST, EVERY, SHARD, DEGREE, ROUNDS, TREES, LEAF = 20, 20, 16_384, 20, 3, 6, 256
+ENTRIES, BEAM, WIDTH, BATCH, PART = 32, 128, 4, 256, 20_000
 
 
 @contextmanager
@@ -57,12 +62,50 @@ def _best(x, i, cand, degree):
     return cand
 
 
+def _unit(embeddings):
+    # A shared norm keeps cosine and inner product in step for graph links.
+    x = np.array(embeddings.tolist(), dtype=np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _leaves(x, rng):
+    """Nodes of a shard in groups of at most LEAF, halved again and again by the difference of two of their vectors."""
+    todo = [np.arange(len(x))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= LEAF:
+            yield part
+            continue
+        a, b = rng.choice(part, 2, replace=False)
+        order = np.argsort(x[part] @ (x[a] - x[b]), kind="stable")
+        todo += [part[order[:len(part) // 2]], part[order[len(part) // 2:]]]
+
+
+def _started(pdf: pd.DataFrame) -> pd.DataFrame:
+    """First links of one shard: the best of each node's groups in TREES random halvings."""
+    pdf = pdf.sort_values("idx")
+    x, rng = _unit(pdf["embedding"]), np.random.default_rng(3)
+    best, score = np.full((len(x), DEGREE), -1), np.full((len(x), DEGREE), -np.inf, np.float32)
+    for _ in range(TREES):
+        for leaf in _leaves(x, rng):
+            near = x[leaf] @ x[leaf].T
+            np.fill_diagonal(near, -np.inf)
+            few = min(DEGREE, len(leaf))
+            top = np.argpartition(-near, few - 1, axis=1)[:, :few]
+            found, worth = leaf[top], np.take_along_axis(near, top, 1)
+            worth[(found[:, :, None] == best[leaf][:, None, :]).any(2)] = -np.inf
+            found, worth = np.c_[best[leaf], found], np.c_[score[leaf], worth]
+            top = np.argpartition(-worth, DEGREE - 1, axis=1)[:, :DEGREE]
+            best[leaf], score[leaf] = np.take_along_axis(found, top, 1), np.take_along_axis(worth, top, 1)
+    out = pdf[["dim", "shard", "idx"]].copy()
+    out["nbr"] = [b[np.isfinite(v)].tolist() for b, v in zip(best, score)]
+    return out
+
+
 def _kept(pdf: pd.DataFrame) -> pd.DataFrame:
     """The DEGREE best candidates of each node of one shard."""
     pdf = pdf.sort_values("idx")
-    x = np.array(pdf["embedding"].tolist(), dtype=np.float32)
-    # A shared norm keeps cosine and inner product in step for graph links.
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(pdf["embedding"])
     out = pdf[["dim", "shard", "idx"]].copy()
     out["nbr"] = [_best(x, i, np.asarray(c, dtype=np.int32), DEGREE).tolist() for i, c in zip(pdf["idx"], pdf["cand"])]
     return out
@@ -71,8 +114,7 @@ def _kept(pdf: pd.DataFrame) -> pd.DataFrame:
 def build(nodes: DataFrame, parts: int, rounds=ROUNDS) -> DataFrame:
     """dim, shard, idx, nbr: the neighbour graph of each shard."""
     spark, key = nodes.sparkSession, ["dim", "shard"]
-    around = Window.partitionBy(*key).orderBy("idx").rowsBetween(-DEGREE // 2, DEGREE // 2)
-    lists = nodes.select(*key, "idx", F.array_remove(F.collect_list("idx").over(around), F.col("idx")).alias("nbr"))
+    lists = nodes.repartition(parts, *key).groupBy(*key).applyInPandas(_started, "dim int, shard int, idx int, nbr array<int>")
     lists = checkpointed(lists)
     schema = "dim int, shard int, idx int, nbr array<int>"
     for _ in range(rounds):
@@ -89,44 +131,49 @@ def build(nodes: DataFrame, parts: int, rounds=ROUNDS) -> DataFrame:
     return lists
 
 
-def walk(x, table, queries):
-    """Scores (queries by nodes) of all that a greedy walk visits; minus infinity elsewhere."""
-    n = len(x)
-    score = np.full((len(queries), n), -np.inf)
-    entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(int))
-    score[:, entries] = queries @ x[entries].T
-    opened = np.zeros(score.shape, bool)
-    beam = min(BEAM, n)
-    rows = np.arange(len(queries))[:, None]
-    for _ in range(HOPS):
-        top = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
-        fresh = ~opened[rows, top] & np.isfinite(score[rows, top])
-        if not fresh.any():
-            break
-        opened[rows, top] = True
-        want = np.zeros(score.shape, bool)
-        r, c = np.nonzero(fresh)
-        near = table[top[r, c]]
-        ok = near >= 0
-        want[np.broadcast_to(r[:, None], near.shape)[ok], near[ok]] = True
-        want &= ~np.isfinite(score)
-        r, c = np.nonzero(want)
-        score[r, c] = np.einsum("ij,ij->i", queries[r], x[c])
-    return score
-
-
-def _table(lists, n):
-    """Links in both directions, as rows padded with -1; a node keeps all of its forward and the first of its reverse links."""
+def walk(x, links, queries, entries=ENTRIES):
+    """Greedy walk of all queries over one graph: query, node and score of each beam, and how many nodes were scored in all.
+
+    Rows are (query, node) pairs; `seen` holds query * n + node in order.
+    """
+    (offsets, targets), n, many = links, len(x), len(queries)
+    first = np.unique(np.linspace(0, n - 1, min(n, entries)).astype(np.int64))
+    r, c = np.repeat(np.arange(many), len(first)), np.tile(first, many)
+    seen = r * n + c
+    score = np.einsum("ij,ij->i", queries[r], x[c])
+    opened = np.zeros(len(r), bool)
+    while True:
+        order = np.lexsort((c, -score, r))
+        order = order[_place(r[order]) < max(BEAM, MOST + 1)]
+        r, c, score, opened = r[order], c[order], score[order], opened[order]
+        fresh = np.flatnonzero(~opened)
+        fresh = fresh[_place(r[fresh]) < WIDTH]
+        if not len(fresh):
+            return r, c, score, len(seen)
+        opened[fresh] = True
+        begin, counts = offsets[c[fresh]], offsets[c[fresh] + 1] - offsets[c[fresh]]
+        at = np.repeat(begin - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        keys = np.unique(np.repeat(r[fresh], counts) * n + targets[at])
+        spot = np.searchsorted(seen, keys)
+        new = (spot == len(seen)) | (seen[np.minimum(spot, len(seen) - 1)] != keys)
+        keys = keys[new]
+        seen = np.insert(seen, spot[new], keys)
+        r, c = np.r_[r, keys // n], np.r_[c, keys % n]
+        score = np.r_[score, np.einsum("ij,ij->i", queries[keys // n], x[keys % n])]
+        opened = np.r_[opened, np.zeros(len(keys), bool)]
+
+
+def _place(groups):
+    """Place of each row in its group; groups are in order."""
+    return np.arange(len(groups)) - np.searchsorted(groups, groups)
+
+
+def _links(lists, n):
+    """All links in both directions: the targets of node i are targets[offsets[i]:offsets[i + 1]]."""
     src = np.repeat(np.arange(n), [len(v) for v in lists])
     dst = np.concatenate([np.asarray(v, dtype=np.int64) for v in lists]) if len(src) else np.zeros(0, np.int64)
-    a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    out = np.full((n, 2 * DEGREE), -1, np.int64)
-    ok = place < 2 * DEGREE
-    out[a[ok], place[ok]] = b[ok]
-    return out
+    keys = np.unique(np.concatenate([src * n + dst, dst * n + src]))
+    return np.searchsorted(keys // n, np.arange(n + 1)), keys % n
 
 
 def _search(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -135,18 +182,16 @@ def _search(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return none
     graph = graph.sort_values("idx")
     x = np.array(graph["embedding"].tolist(), dtype=np.float64)
-    ids, table = graph["ids"].tolist(), _table(graph["nbr"].tolist(), len(graph))
+    ids, links = graph["ids"].tolist(), _links(graph["nbr"].tolist(), len(graph))
     out = []
     for at in range(0, len(queries), BATCH):
         part = queries.iloc[at:at + BATCH]
         q = np.array(part["asked"].tolist(), dtype=np.float64)
-        score = walk(x, table, q)
-        most = min(MOST + 1, len(x))
-        # Ties at the cut between different vectors are settled by the smallest id, so all that tie are kept.
-        cut = -np.partition(-score, most - 1, axis=1)[:, most - 1]
+        r, c, _, _ = walk(x, links, q)
+        score = np.add.reduce(q[r] * x[c], axis=1)
+        cuts = np.searchsorted(r, np.arange(len(q) + 1))
         for i, own in enumerate(part["query_id"]):
-            near = np.flatnonzero((score[i] >= cut[i]) & np.isfinite(score[i]))
-            found = [(-score[i, j], v) for j in near for v in ids[j] if v != own]
+            found = [(-s, v) for s, j in zip(score[cuts[i]:cuts[i + 1]].tolist(), c[cuts[i]:cuts[i + 1]].tolist()) for v in ids[j] if v != own]
             found.sort()
             out += [(own, v, -s) for s, v in found[:MOST]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
