@@ -2,30 +2,24 @@
 import uuid
 
 from ledgermill.llm import decontam, langid, mixing, pii, simhash
-from ledgermill.llm.common import table
-
-
-def mixed(spark, docs, sf_dir):
-    """Documents that the mix takes, with their number of copies."""
-    taken = mixing.mix(docs).filter("taken > 0").selectExpr("doc_id", "cast(taken div size as int) as copies").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").select(*docs.columns, "copies")
-
+from ledgermill.llm.common import shared_folder, table
 
 STAGES = [
     ("language", lambda spark, docs, sf_dir: langid.keep_identified(docs)),
     ("near_dedup", lambda spark, docs, sf_dir: simhash.deduplicate(docs)),
-    ("decontaminate", lambda spark, docs, sf_dir: decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)),
+    ("decontaminate", lambda spark, docs, sf_dir: decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))),
     ("pii", lambda spark, docs, sf_dir: pii.redact(docs)),
-    ("mix", mixed),
+    ("mix", lambda spark, docs, sf_dir: mixing.mixed(docs)),
 ]
+# The language model and the field are fitted, which SQL cannot express; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpus_pipeline"
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{root}/{uuid.uuid4().hex}_{name}"
+        path = f"{root}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
