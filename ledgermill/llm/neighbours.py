@@ -32,15 +32,17 @@ ENTRIES, BEAM, WIDTH, BATCH, PART = 32, 128, 4, 256, 20_000
 
 
 @contextmanager
-def copartitioned(spark):
-    """Let joins on more columns use a partitioning by the shard alone."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    old = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def copartitioned(spark, parts):
+    """Let joins on more columns use a partitioning by the shard alone, however few shards there are."""
+    new = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.shuffle.partitions": str(parts)}
+    old = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -118,11 +120,11 @@ def build(nodes: DataFrame, parts: int, rounds=ROUNDS) -> DataFrame:
     lists = checkpointed(lists)
     schema = "dim int, shard int, idx int, nbr array<int>"
     for _ in range(rounds):
-        with copartitioned(spark):
+        with copartitioned(spark, parts):
             held = lists.repartition(parts, *key)
-            links = held.select(*key, "idx", F.explode("nbr").alias("to"))
-            links = held.select(*key, "idx", F.explode("nbr").alias("to")).union(links.select(*key, "to", "idx"))
-            links = links.repartition(parts, *key)
+            # Both directions come out of one explode, which keeps the partitioning.
+            both = F.expr("explode(flatten(transform(nbr, x -> array(named_struct('a', idx, 'b', x), named_struct('a', x, 'b', idx))))) as link")
+            links = held.select(*key, both).select(*key, F.col("link.a").alias("idx"), F.col("link.b").alias("to"))
             met = links.join(held.withColumnRenamed("idx", "to"), [*key, "to"])
             cand = met.groupBy(*key, "idx").agg(F.array_distinct(F.concat(F.flatten(F.collect_list("nbr")), F.collect_set("to"))).alias("cand"))
             whole = nodes.repartition(parts, *key).join(cand, [*key, "idx"], "left").select(
