@@ -5,6 +5,7 @@ Domains are parameters: two systems agree on a root only if they agree on the na
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 LEAF, NODE, CHAIN = "ledgermill:leaf:v1", "ledgermill:node:v1", "ledgermill:wal:v1"
 ZERO = "00" * 32
@@ -104,7 +105,6 @@ def keccak256(data: bytes) -> str:
     """Keccak-256 with the padding of before the standard; lanes are 25 64-bit words."""
     mask, rate = (1 << 64) - 1, 136
     turn = lambda x, n: (x << n | x >> 64 - n) & mask if n else x
-    block = bytearray(data) + b"\x01" + b"\0" * (-len(data) - 2 % rate % rate)
     block = bytearray(data + b"\x01")
     block += b"\0" * (-len(block) % rate)
     block[-1] |= 0x80
@@ -133,7 +133,7 @@ def keccak256(data: bytes) -> str:
     return b"".join(lane[i % 5][i // 5].to_bytes(8, "little") for i in range(4)).hex()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def keccak(data):
     return data.map(lambda d: None if d is None else keccak256(bytes(d)))
 

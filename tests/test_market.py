@@ -3,10 +3,11 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from ledgermill.operators import derivatives, market
+from ledgermill.operators import aggregates, commitments, derivatives, market, markets, rules
+from ledgermill.streaming import stream
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("lineitem", "orders", "customer", "supplier", "events")
+TABLES = ("lineitem", "orders", "customer", "supplier", "part", "events", "nation", "region")
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def engines():
     return spark, con
 
 
-@pytest.mark.parametrize("module, name", [(m, n) for m in (market, derivatives) for n in m.SQL])
+@pytest.mark.parametrize("module, name", [(m, n) for m in (market, derivatives, rules, aggregates, markets, commitments, stream) for n in m.SQL])
 def test_matches_oracle(engines, module, name):
     spark, con = engines
     frame = module.query(name)(spark, SF)
