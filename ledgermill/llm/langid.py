@@ -35,14 +35,27 @@ def features(text: str) -> np.ndarray:
     return x / (np.linalg.norm(x) or 1)
 
 
-def _svm(x, y, epochs=15, reg=1e-4):
-    rng, w, total, b, t = np.random.default_rng(7), np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0
+def _packed(x: np.ndarray) -> bytes:
+    """Places and values of the features that are not zero, in four bytes each."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float16).tobytes()
+
+
+def _unpacked(data: bytes):
+    half = len(data) // 2
+    return np.frombuffer(data[:half], np.uint16), np.frombuffer(data[half:], np.float16).astype(np.float32)
+
+
+def _svm(rows, y, epochs=15, reg=1e-4):
+    """Averaged hinge-loss descent over rows of (places, values)."""
+    rng, w, total, b, t = np.random.default_rng(7), np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
+        for i in rng.permutation(len(rows)):
             t += 1
             w *= 1 - reg
-            if y[i] * (w @ x[i] + b) < 1:
-                w += 0.1 * y[i] * x[i]
+            at, x = rows[i]
+            if y[i] * (w[at] @ x + b) < 1:
+                w[at] += 0.1 * y[i] * x
                 b += 0.01 * y[i]
             total += w
     return total / max(1, t), b
@@ -61,12 +74,12 @@ def train(docs: DataFrame):
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"place": pdf["place"], "h": pdf["h"], "lang": pdf["lang"], "x": [features(t).astype(np.float16).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"place": pdf["place"], "h": pdf["h"], "lang": pdf["lang"], "x": [_packed(features(t)) for t in pdf["text"]]})
 
     # Repeated rows count once.
     rows = (open_rows.select("h", "lang", "text").join(F.broadcast(some), ["h", "lang"]).mapInPandas(run, "place int, h long, lang string, x binary")
             .dropDuplicates(["h", "lang"]).orderBy("place", "h", "lang", "x").limit(SAMPLE).collect())
-    x = np.array([np.frombuffer(r.x, np.float16) for r in rows], dtype=np.float32).reshape(-1, BUCKETS)
+    x = [_unpacked(r.x) for r in rows]
     lang = np.array([r.lang for r in rows])
     family = np.array([FAMILY.get(v, v) for v in lang])
     model = {"families": sorted(set(family)), "members": {}, "top": [], "pairs": {}}
@@ -76,7 +89,7 @@ def train(docs: DataFrame):
         for i, a in enumerate(m):
             for b in m[i + 1:]:
                 at = (lang == a) | (lang == b)
-                model["pairs"][a, b] = _svm(x[at], np.where(lang[at] == a, 1, -1))
+                model["pairs"][a, b] = _svm([x[j] for j in np.flatnonzero(at)], np.where(lang[at] == a, 1, -1))
     return model
 
 
