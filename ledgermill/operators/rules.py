@@ -61,7 +61,7 @@ _SQL = {
     "deposits_not_credited": f"with {TICKS}, credited as (select distinct user_id, price_raw from ticks where event_id % 5 = 0) select t.event_id, t.user_id, t.price_raw from ticks t left join credited c on t.user_id = c.user_id and t.price_raw = c.price_raw where c.user_id is null",
     "interval_overlap": f"with {TICKS}, steps as (select market_id, event_id, price_raw, at_us as lo, lead(at_us) over (partition by market_id order by at_us, price_raw, event_id) as hi from ticks), windows as (select market_id, min(at_us) + (max(at_us) - min(at_us)) @/ 3 as a, min(at_us) + 2 * ((max(at_us) - min(at_us)) @/ 3) as b from ticks group by market_id) select s.market_id, event_id, price_raw, greatest(lo, a) as from_us, least(hi, b) as to_us from steps s join windows w on s.market_id = w.market_id and lo < b and hi > a where least(hi, b) > greatest(lo, a)",
     "as_of_snapshot": f"with {TICKS} select market_id, event_id, last_snapshot, event_id - last_snapshot as n_behind from (select market_id, event_id, max(case when event_id % 50 < 3 then event_id end) over (partition by market_id order by event_id rows unbounded preceding) as last_snapshot from ticks) t where last_snapshot is not null",
-    "counterparties": f"with {NEWEST}, sided as (select market_id, user_id, price_raw, case when user_id @/ 16 % 2 = 0 then 1 else -1 end as side from newest) select a.market_id, a.user_id as victim, count(*) as n_opposite, max(b.price_raw) as best_raw from sided a join sided b on a.market_id = b.market_id and a.side <> b.side group by a.market_id, a.user_id",
+    "counterparties": f"with {NEWEST}, sided as (select source as market_id, user_id, price_raw, case when user_id @/ 8 % 2 = 0 then 1 else -1 end as side from newest) select a.market_id, a.user_id as victim, count(*) as n_opposite, max(b.price_raw) as best_raw from sided a join sided b on a.market_id = b.market_id and a.side <> b.side group by a.market_id, a.user_id",
     "peers_by_market": f"with {TICKS}, regions as (select user_id, user_id % 5 as region from (select distinct user_id from ticks) u) select t.market_id, r.region, count(distinct t.user_id) as n_peers, min(t.user_id) as first_peer from ticks t join regions r on t.user_id = r.user_id group by t.market_id, r.region",
 }
 SQL = sql.oracles(_SQL)
