@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import add_columns, fold
 
 TOKEN, BUCKETS, DIM, HIDDEN, SAMPLE, CUT = re.compile(r"\w+|[^\w\s]+"), 1 << 14, 64, 32, 3000, 0.3
-# Words of a task whose pairs are counted at a time; rows of the table in a slice.
-TOKENS, SLICE = 1 << 20, 256
+# Words of a task whose pairs are counted at a time; pairs summed at a time; rows of the table in a slice.
+TOKENS, PAIRS, SLICE = 1 << 20, 1 << 18, 256
 
 
 def buckets(text):
@@ -40,26 +40,33 @@ def pool(vectors, ids, chunk=65536):
     return sum(vectors[ids[i:i + chunk]].sum(0) for i in range(0, len(ids), chunk)) / len(ids)
 
 
-def near(vectors, texts, base):
+def entries(base):
+    """Where each word's non-zero entries start, their columns and their values."""
+    word, column = np.nonzero(base)
+    return np.searchsorted(word, np.arange(BUCKETS + 1)), column, base[word, column].astype(np.float64)
+
+
+def near(vectors, texts, sparse):
     """Adds to each word's row of vectors the random vectors of its neighbours in the texts."""
-    # Pairs are counted first, so a pair costs one row however often it comes.
+    starts, column, value = sparse
+    # Pairs are counted first, so a pair costs its few entries however often it comes; sums of whole numbers are exact.
     keys = [np.minimum(a, b) * BUCKETS + np.maximum(a, b) for x in texts for a, b in ((x[:-1], x[1:]), (x[:-2], x[2:]))]
     pairs, counts = np.unique(np.concatenate(keys).astype(np.uint32), return_counts=True)
-    low, high = pairs // BUCKETS, pairs % BUCKETS
+    low, high = pairs.astype(np.int64) // BUCKETS, pairs.astype(np.int64) % BUCKETS
+    flat = vectors.reshape(-1)
     for a, b in ((low, high), (high, low)):
-        order = np.argsort(b, kind="stable")
-        for at in range(0, len(order), 65536):
-            some = order[at:at + 65536]
-            to = b[some]
-            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            vectors[to[cuts]] += np.add.reduceat(base[a[some]] * counts[some, None], cuts)
+        for at in range(0, len(a), PAIRS):
+            some = slice(at, at + PAIRS)
+            first, size = starts[a[some]], starts[a[some] + 1] - starts[a[some]]
+            place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            flat += np.bincount(np.repeat(b[some] * DIM, size) + column[place], np.repeat(counts[some], size) * value[place], BUCKETS * DIM).astype(np.int64)
 
 
 def context(docs):
     """Word vectors from all documents: sums of each task by slices of the table, then of the slices."""
     def run(batches):
-        base = index_vectors().astype(np.int64)
-        sums, held, size = np.zeros_like(base), [], 0
+        base = entries(index_vectors())
+        sums, held, size = np.zeros((BUCKETS, DIM), np.int64), [], 0
         for pdf in batches:
             for t in pdf["text"]:
                 x = buckets(t)
