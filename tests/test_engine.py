@@ -253,3 +253,16 @@ def test_streams_against_batches(spark):
     closed = stream.windowed(spark, sf)
     every = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01', ts) * 3600000000").alias("from_us"), "event_type").agg(F.count("*").alias("n"))
     assert closed.select("from_us", "event_type", "n").exceptAll(every).count() == 0 and 0 < closed.count() <= every.count()
+
+
+def test_merkle_by_blocks(spark):
+    rng = random.Random(3)
+    trees = {n: [rng.randbytes(32) for _ in range(n)] for n in (1, 4, 5, 17, 64, 75)}
+    rows = spark.createDataFrame([(n, i, x.hex()) for n, xs in trees.items() for i, x in enumerate(xs)], "tree long, idx long, hash string")
+    whole = {r.tree: r.root for r in h.merkle_roots(rows).collect()}
+    assert {r.tree: r.root for r in h.merkle_roots(rows, 2).collect()} == whole
+    proved = h.merkle_proofs(rows, F.col("idx") % 3 == 0, 2)
+    assert proved._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    got = proved.withColumn("folded", h.proof_root("hash", "idx", "siblings")).collect()
+    assert sorted((r.tree, r.idx) for r in got) == [(n, i) for n in trees for i in range(0, n, 3)]
+    assert all(r.folded == r.root == whole[r.tree] and r.hash == trees[r.tree][r.idx].hex() and len(r.siblings) == (r.tree - 1).bit_length() for r in got)
