@@ -1,6 +1,9 @@
 """Risk commands, ledgers, payouts, settlement, conditional orders and reads; each text serves both engines."""
+import heapq
+
 from ledgermill.operators.aggregates import LOCAL, VECTORS
 from ledgermill.operators.derivatives import ACCOUNTS, CLAIMS, FILLS, RESTING, TICKS, _FOLD
+from ledgermill.operators.fold import folded
 from ledgermill.plans import sql
 
 # Orders that wait for a price: a stop or take-profit of each user, from its first event on.
@@ -64,7 +67,68 @@ _SQL = {
 }
 TEXT = {d: {n: t.replace("FOLDED", _FOLD[d]) for n, t in _SQL.items()} for d in _FOLD}
 SQL = sql.oracles(TEXT["oracle"])
-QUERIES = sql.queries(TEXT["spark"])
+# Ticks of a market and, before them, the orders placed at the same event; an order fires at a later event only.
+TAPE = f"""with {WAITING} select market_id, event_id, 1 as tick, cast(null as bigint) as user_id, cast(null as string) as side, price_raw, cast(null as bigint) as low_raw, cast(null as bigint) as high_raw
+  from ticks where market_id is not null and event_id is not null and price_raw is not null
+  union all select market_id, placed, 0, user_id, side, null, low_raw, high_raw from waiting where market_id is not null and placed is not null"""
+
+
+class Trigger:
+    """Orders of one market that wait for a price, each on a heap by its price, so that a tick meets only those it fires.
+
+    With `both`, an order waits on both sides and its first leg cancels the other; at one event leg a goes first.
+    """
+
+    def __init__(self, both=False):
+        self.both, self.event, self.lows, self.highs, self.new, self.gone = both, None, [], [], [], set()
+
+    def wait(self):
+        """Orders placed at an event that is over."""
+        for r in self.new:
+            if self.both or r["side"] == "sell":
+                heapq.heappush(self.lows, (-r["low_raw"], r["user_id"], r["side"]))
+            if self.both or r["side"] == "buy":
+                heapq.heappush(self.highs, (r["high_raw"], r["user_id"], r["side"]))
+        self.new = []
+
+    def fire(self, heap, price):
+        while heap and heap[0][0] <= price:
+            _, user, side = heapq.heappop(heap)
+            if user in self.gone:
+                self.gone.remove(user)
+                continue
+            if self.both:
+                self.gone.add(user)
+            yield user, side
+
+    def settle(self):
+        """What fires at the event that is over: on its lowest and highest price."""
+        if self.event is None or self.low is None:
+            return
+        for leg, heap, price, shown in (("a", self.lows, -self.low, self.low), ("b", self.highs, self.high, self.high)):
+            for user, side in self.fire(heap, price):
+                yield (user, self.market, self.event, leg) if self.both else (user, self.market, side, self.event, shown)
+
+    def apply(self, r):
+        if r["event_id"] != self.event:
+            yield from self.close()
+            self.wait()
+            self.market, self.event, self.low, self.high = r["market_id"], r["event_id"], None, None
+        if not r["tick"]:
+            self.new.append(r)
+        else:
+            self.low = r["price_raw"] if self.low is None else min(self.low, r["price_raw"])
+            self.high = r["price_raw"] if self.high is None else max(self.high, r["price_raw"])
+
+    def close(self):
+        yield from self.settle()
+
+
+def oco_orders(spark, sf_dir):
+    return folded(sql.run(spark, sf_dir, TAPE), "market_id", ["event_id"], lambda: Trigger(True), "user_id long, market_id long, fired_at long, leg string")
+
+
+QUERIES = sql.queries(TEXT["spark"]) | {"oco_orders": oco_orders}
 
 
 def query(name):

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import SparkSession
 
-from ledgermill.operators import packed, registry, simulation
+from ledgermill.operators import markets, packed, registry, simulation
+from ledgermill.plans import sql
 from ledgermill.sources import packets
 
 
@@ -190,3 +191,26 @@ def test_conditional_records(spark):
     got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, d binary").select("i", packets.conditional(packed.F.col("d")).alias("r")).orderBy("i").collect()
     assert [g.r.verdict for g in got] == ["ok", "malformed", "ok", "malformed", "malformed", "malformed", "quantity"]
     assert tuple(got[0].r)[1:] == (7, "ask", "post_only", "ioc", "above", -5, 6, 8, 9, True)
+
+
+@pytest.mark.parametrize("name", ["oco_orders"])
+def test_conditional_orders_without_pairing_them_with_ticks(spark, tmp_path, name):
+    """The same rows as the text, which joins each order with all ticks of its market; ids and prices may be null."""
+    rng = random.Random(5)
+    events = [(i if i % 41 else None, rng.choice([1, 2, 17, 33, 50, 66, 470, 902, -14, None]), "trade", rng.choice([None, *[rng.randrange(1, 490) * 1.0] * 9])) for i in range(600)]
+    frame = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double")
+    frame.selectExpr("*", "timestamp_ntz'2024-01-01' as ts", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    got = markets.QUERIES[name](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sql.run(spark, str(tmp_path), markets.TEXT["spark"][name])
+    assert got.schema.simpleString() == want.schema.simpleString() and want.count() > 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_conditional_orders_at_one_event():
+    def fed(machine, rows):
+        out = [x for r in rows for x in machine.apply(dict(zip(("market_id", "event_id", "tick", "user_id", "side", "price_raw", "low_raw", "high_raw"), r)))]
+        return out + list(machine.close())
+    rows = [(1, 1, 1, None, None, 5, None, None), (1, 1, 0, 7, "sell", None, 10, 90), (1, 1, 0, 8, "buy", None, 10, 90), (1, 2, 1, None, None, 95, None, None), (1, 2, 1, None, None, 9, None, None), (1, 3, 1, None, None, 99, None, None)]
+    assert fed(markets.Trigger(), rows) == [(7, 1, "sell", 2, 9), (8, 1, "buy", 2, 95)]
+    assert sorted(fed(markets.Trigger(True), rows)) == [(7, 1, 2, "a"), (8, 1, 2, "a")]
