@@ -124,11 +124,15 @@ class Trigger:
         yield from self.settle()
 
 
+def stop_orders(spark, sf_dir):
+    return folded(sql.run(spark, sf_dir, TAPE), "market_id", ["event_id"], Trigger, "user_id long, market_id long, side string, fired_at long, price_raw long")
+
+
 def oco_orders(spark, sf_dir):
     return folded(sql.run(spark, sf_dir, TAPE), "market_id", ["event_id"], lambda: Trigger(True), "user_id long, market_id long, fired_at long, leg string")
 
 
-QUERIES = sql.queries(TEXT["spark"]) | {"oco_orders": oco_orders}
+QUERIES = sql.queries(TEXT["spark"]) | {"stop_orders": stop_orders, "oco_orders": oco_orders}
 
 
 def query(name):

@@ -193,7 +193,7 @@ def test_conditional_records(spark):
     assert tuple(got[0].r)[1:] == (7, "ask", "post_only", "ioc", "above", -5, 6, 8, 9, True)
 
 
-@pytest.mark.parametrize("name", ["oco_orders"])
+@pytest.mark.parametrize("name", ["stop_orders", "oco_orders"])
 def test_conditional_orders_without_pairing_them_with_ticks(spark, tmp_path, name):
     """The same rows as the text, which joins each order with all ticks of its market; ids and prices may be null."""
     rng = random.Random(5)
