@@ -9,7 +9,8 @@ position (sets the account's position for reduce-only orders). Kinds: limit, mar
 gtc, ioc, fok. An account does not trade with itself: policy cancel_maker, cancel_taker or cancel_both.
 """
 import copy
-import heapq
+from bisect import bisect_left, insort
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -38,27 +39,46 @@ class Book:
     policy: str = "cancel_maker"
     remember: int = 1024
     orders: dict = field(default_factory=dict)
-    queues: dict = field(default_factory=lambda: {"bid": [], "ask": []})
+    # Of each side, the orders of a price in time, and the prices in order, the best last (ask prices are negated).
+    queues: dict = field(default_factory=lambda: {"bid": {}, "ask": {}})
+    prices: dict = field(default_factory=lambda: {"bid": [], "ask": []})
+    owned: dict = field(default_factory=dict)
     positions: dict = field(default_factory=dict)
     done: dict = field(default_factory=dict)
     arrivals: int = 0
 
     def best(self, side):
-        """The order that is first in price and time on a side, or None. Entries of orders that went are dropped."""
-        queue = self.queues[side]
-        while queue:
-            _, arrival, order_id = queue[0]
-            order = self.orders.get(order_id)
-            if order and order.arrival == arrival:
-                return order
-            heapq.heappop(queue)
-        return None
+        """The order that is first in price and time on a side, or None."""
+        prices = self.prices[side]
+        return next(iter(self.queues[side][prices[-1]].values())) if prices else None
 
     def rest(self, c, lots):
         self.arrivals += 1
         order = Resting(c["order_id"], c["account"], c["side"], c["price_raw"], lots, self.arrivals, c.get("client_id") or 0)
         self.orders[order.order_id] = order
-        heapq.heappush(self.queues[order.side], (-order.price if order.side == "bid" else order.price, order.arrival, order.order_id))
+        self.owned.setdefault(order.account, set()).add(order.order_id)
+        place = order.price if order.side == "bid" else -order.price
+        queue = self.queues[order.side].get(place)
+        if queue is None:
+            queue = self.queues[order.side][place] = OrderedDict()
+            insort(self.prices[order.side], place)
+        queue[order.order_id] = order
+
+    def remove(self, order):
+        del self.orders[order.order_id]
+        owned = self.owned[order.account]
+        owned.remove(order.order_id)
+        if not owned:
+            del self.owned[order.account]
+        place, queues, prices = order.price if order.side == "bid" else -order.price, self.queues[order.side], self.prices[order.side]
+        del queues[place][order.order_id]
+        if not queues[place]:
+            del queues[place], prices[bisect_left(prices, place)]
+
+    def walk(self, side):
+        """The orders of a side by price and time."""
+        for place in reversed(self.prices[side]):
+            yield from self.queues[side][place].values()
 
     def crosses(self, c, price):
         if c["kind"] == "market" and c["price_raw"] <= 0:
@@ -68,7 +88,7 @@ class Book:
     def crossable(self, c, need):
         """Lots that the order could take, in order, up to its need."""
         total = 0
-        for order in sorted((o for o in self.orders.values() if o.side != c["side"]), key=lambda o: (o.price if c["side"] == "bid" else -o.price, o.arrival)):
+        for order in self.walk("ask" if c["side"] == "bid" else "bid"):
             if total >= need or not self.crosses(c, order.price):
                 break
             if order.account == c["account"]:
@@ -109,7 +129,7 @@ class Book:
             if maker.account == c["account"]:
                 stopped = self.policy != "cancel_maker"
                 if self.policy != "cancel_taker":
-                    del self.orders[maker.order_id]
+                    self.remove(maker)
                     events.append(("self_trade_cancel", maker.order_id, maker.account, maker.price, maker.lots, None))
                 continue
             take = min(left, maker.lots)
@@ -117,7 +137,7 @@ class Book:
             left -= take
             maker.lots -= take
             if not maker.lots:
-                del self.orders[maker.order_id]
+                self.remove(maker)
         if not left:
             outcome, left = "filled", 0
         elif c["kind"] != "market" and not stopped and c["life"] == "gtc":
@@ -140,30 +160,31 @@ class Book:
         return events
 
     def cancel(self, order_id):
-        order = self.orders.pop(order_id, None)
+        order = self.orders.get(order_id)
         if not order:
             return [("report", order_id, None, 0, 0, "unknown_order")]
+        self.remove(order)
         return [("cancelled", order_id, order.account, order.price, order.lots, None)]
 
     def cancel_all(self, account):
-        return [e for i in sorted(o.order_id for o in self.orders.values() if o.account == account) for e in self.cancel(i)]
+        return [e for i in sorted(self.owned.get(account, ())) for e in self.cancel(i)]
 
     def replace(self, c):
         order = self.orders.get(c["order_id"])
         if c["lots"] <= 0 or c["price_raw"] <= 0 or not order:
             return [("report", None, None, 0, 0, "non_positive_quantity" if c["lots"] <= 0 else "non_positive_price" if c["price_raw"] <= 0 else "unknown_order")]
-        del self.orders[order.order_id]
+        self.remove(order)
         return self.place({**c, "account": order.account, "side": order.side, "kind": "limit", "life": "gtc", "reduce_only": False, "client_id": order.client_id})
 
     def basket(self, legs):
         """All legs or none."""
-        kept = copy.deepcopy((self.orders, self.queues, self.done, self.arrivals))
+        kept = copy.deepcopy((self.orders, self.queues, self.prices, self.owned, self.done, self.arrivals))
         out = []
         for c in legs:
             events = self.submit({**c, "action": "place"})
             out += [(c, e) for e in events]
             if events[-1][5] not in ("filled", "resting", "partially_filled_resting"):
-                self.orders, self.queues, self.done, self.arrivals = kept
+                self.orders, self.queues, self.prices, self.owned, self.done, self.arrivals = kept
                 return [(c, ("report", None, None, 0, 0, "basket_rejected")) for c in legs]
         return out
 
@@ -189,20 +210,27 @@ class Book:
         return [(p, *out[p]) for p in sorted(out, reverse=side == "bid")]
 
 
-def match(commands: DataFrame, policy="cancel_maker") -> DataFrame:
-    """Events of all markets, and at the end of each its resting orders."""
+def match(commands: DataFrame, policy="cancel_maker", only=None) -> DataFrame:
+    """Events of all markets, and at the end of each its resting orders; `only` names the events to put out, so that no others are made into rows."""
     fields = [f.split() for f in EVENTS.split(", ")]
     types = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(n, types[t]) for n, t in fields])
 
     def rows(market, seq, c, events):
-        return [(market, seq, e, c["order_id"], maker, c["account"], maker_account, c["side"], price, lots, outcome) for e, maker, maker_account, price, lots, outcome in events]
+        return [(market, seq, e, c["order_id"], maker, c["account"], maker_account, c["side"], price, lots, outcome) for e, maker, maker_account, price, lots, outcome in events if not only or e in only]
+
+    def values(column):
+        if pa.types.is_string(column.type):
+            coded = column.dictionary_encode()
+            names = [*coded.dictionary.to_pylist(), None]
+            return [names[i] for i in coded.indices.fill_null(-1).to_numpy().tolist()]
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def closing(market, book):
-        return [(market, None, "resting", o.order_id, None, o.account, None, o.side, o.price, o.lots, None) for o in sorted(book.orders.values(), key=lambda o: o.order_id)]
+        return [(market, None, "resting", o.order_id, None, o.account, None, o.side, o.price, o.lots, None) for o in sorted(book.orders.values(), key=lambda o: o.order_id) if not only or "resting" in only]
 
     def flush(book, market, legs):
         return [r for c, e in book.basket(legs) for r in rows(market, c["seq"], c, [e])]
@@ -211,7 +239,7 @@ def match(commands: DataFrame, policy="cancel_maker") -> DataFrame:
         market, book, legs = None, None, []
         for b in batches:
             out = []
-            for c in b.to_pylist():
+            for c in (dict(zip(COMMANDS, r)) for r in zip(*map(values, b.columns))):
                 if legs and (c["market_id"] != market or c["action"] != "basket" or c["seq"] != legs[0]["seq"]):
                     out += flush(book, market, legs)
                     legs = []
@@ -248,10 +276,10 @@ def stream(spark, sf_dir):
 
 
 QUERIES = {
-    "book_fills": lambda s, d: match(stream(s, d)).filter("event = 'fill'").select("market_id", "seq", "order_id", "maker_order", "account", "maker_account", "side", "price_raw", "lots"),
+    "book_fills": lambda s, d: match(stream(s, d), only=("fill",)).select("market_id", "seq", "order_id", "maker_order", "account", "maker_account", "side", "price_raw", "lots"),
     "book_reports": lambda s, d: match(stream(s, d)).filter("event in ('report', 'cancelled', 'self_trade_cancel')").select("market_id", "seq", "event", "order_id", "maker_order", "lots", "outcome"),
     "book_resting": lambda s, d: match(stream(s, d)).filter("event = 'resting'").select("market_id", "order_id", "account", "side", "price_raw", "lots"),
-    "book_levels": lambda s, d: match(stream(s, d), "cancel_both").filter("event = 'resting'").groupBy("market_id", "side", "price_raw").agg({"lots": "sum", "order_id": "count"})
+    "book_levels": lambda s, d: match(stream(s, d), "cancel_both", ("resting",)).groupBy("market_id", "side", "price_raw").agg({"lots": "sum", "order_id": "count"})
     .selectExpr("market_id", "side", "price_raw", "`sum(lots)` as lots", "`count(order_id)` as n_orders"),
 }
 SQL: dict = {}

@@ -100,6 +100,23 @@ def test_basket_is_all_or_nothing():
     assert [e[5] for _, e in b.basket([place(2, 2, "bid", 100, 3), place(3, 2, "bid", 50, 3)]) if e[0] == "report"] == ["filled", "resting"]
 
 
+def test_a_deep_book_is_not_read_whole():
+    class Deep(dict):
+        def values(self):
+            raise AssertionError("all orders read")
+    b = book.Book()
+    for i in range(40):
+        b.apply(place(i, i % 4, "ask", 100 + i // 2, 5))
+    b.orders = Deep(b.orders)
+    assert [e[4] for e in b.apply(place(90, 9, "bid", 101, 12, life="fok")) if e[0] == "fill"] == [5, 5, 2]
+    assert b.apply(place(91, 9, "bid", 101, 9, life="fok"))[0][5] == "rejected"
+    # Orders 2 and 3 are left at 101; account 2 skips its own.
+    assert b.apply(place(92, 2, "bid", 101, 6, life="fok"))[0][5] == "rejected"
+    assert [e[1] for e in b.apply({"action": "cancel_all", "account": 1})] == list(range(5, 40, 4))
+    b.orders = dict(b.orders)
+    assert [x[0] for x in b.levels("ask")] == [-p for p in b.prices["ask"]][::-1] and set(b.owned) == {0, 2, 3}
+
+
 def plain_match(commands):
     """The same rules over a plain list, for limit, market and the three lives."""
     resting, fills = [], []
