@@ -279,7 +279,7 @@ REPORTS = ("report", "cancelled", "self_trade_cancel")
 QUERIES = {
     "book_fills": lambda s, d: match(stream(s, d), only=("fill",)).select("market_id", "seq", "order_id", "maker_order", "account", "maker_account", "side", "price_raw", "lots"),
     "book_reports": lambda s, d: match(stream(s, d), only=REPORTS).select("market_id", "seq", "event", "order_id", "maker_order", "lots", "outcome"),
-    "book_resting": lambda s, d: match(stream(s, d)).filter("event = 'resting'").select("market_id", "order_id", "account", "side", "price_raw", "lots"),
+    "book_resting": lambda s, d: match(stream(s, d), only=("resting",)).select("market_id", "order_id", "account", "side", "price_raw", "lots"),
     "book_levels": lambda s, d: match(stream(s, d), "cancel_both", ("resting",)).groupBy("market_id", "side", "price_raw").agg({"lots": "sum", "order_id": "count"})
     .selectExpr("market_id", "side", "price_raw", "`sum(lots)` as lots", "`count(order_id)` as n_orders"),
 }
