@@ -283,3 +283,14 @@ def test_merkle_by_blocks(spark):
     got = proved.withColumn("folded", h.proof_root("hash", "idx", "siblings")).collect()
     assert sorted((r.tree, r.idx) for r in got) == [(n, i) for n in trees for i in range(0, n, 3)]
     assert all(r.folded == r.root == whole[r.tree] and r.hash == trees[r.tree][r.idx].hex() and len(r.siblings) == (r.tree - 1).bit_length() for r in got)
+
+
+def test_verified_reads_over_few_joins(spark):
+    """Every tip proof is verified, every proof of the older tree stale, and no level of a tree is a join of its own."""
+    from ledgermill.operators import commitments
+    got = commitments.verified_reads(spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 16
+    rows = got.collect()
+    sizes = {r.tree: r.n for r in commitments.leaves(spark, "/root/testdata/sf0.001").groupBy("tree").agg(F.count("*").alias("n")).collect()}
+    assert sorted((r.market_id, r.idx) for r in rows if r.status == "verified" and r.n_siblings == (sizes[r.market_id] - 1).bit_length()) == sorted((t, i) for t, n in sizes.items() for i in range(0, n, 16))
+    assert sorted((r.market_id, r.n_siblings) for r in rows if r.status == "stale") == sorted((t, 3) for t, n in sizes.items() if n > 8)
